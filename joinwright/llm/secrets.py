@@ -21,7 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joinwright.llm.workspace import Workspace
+from joinwright.llm.workspace import Workspace, smallest_hashes
 
 #: Kind, pattern, group whose length counts, least length.
 KINDS = (
@@ -101,10 +101,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = work.write(read.select("id", *found, tokens, words), "found")
 
     values = F.flatten(F.array(*[F.transform(kind, lambda s: s["value"]) for kind, *_ in KINDS]))
-    first = F.xxhash64("id")
-    labelled = read.where(F.size(values) > 0).orderBy(first, "id").limit(SAMPLE_TEXTS).select(F.slice(values, 1, 20).alias("v"))
+    labelled = smallest_hashes(read.where(F.size(values) > 0), "id", SAMPLE_TEXTS).select(F.slice(values, 1, 20).alias("v"))
     secret = sorted({v for r in labelled.collect() for v in r.v if len(v) >= 8})
-    plain = read.where(F.size("words") > 0).orderBy(first, "id").limit(SAMPLE_TEXTS).select("words", values.alias("v"))
+    plain = smallest_hashes(read.where(F.size("words") > 0), "id", SAMPLE_TEXTS).select("words", values.alias("v"))
     ordinary = sorted({w for r in plain.collect() for w in r.words if not any(w in v for v in r.v)}) or ["identifier"]
     table = ratio_table(secret + seeded_strings(), ordinary)
     long_words = [w for w in ordinary if len(w) >= 12]

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from joinwright.llm.workspace import smallest_hashes
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the beginnings that are features; the mark of one in a feature's name.
 STEMS, MARK = (3, 4, 5, 6, 7, 8), "^"
@@ -176,8 +178,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 400, ridge: float = 1e-3) -> S
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = F.xxhash64("doc_id")
-    picked = one.where("toxic = 1").orderBy(first, "doc_id").limit(most_toxic).union(one.where("toxic = 0").orderBy(first, "doc_id").limit(most_clean))
+    picked = smallest_hashes(one.where("toxic = 1"), "doc_id", most_toxic).union(smallest_hashes(one.where("toxic = 0"), "doc_id", most_clean))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()  # most_toxic + most_clean ids at most
     return [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: r.doc_id)]

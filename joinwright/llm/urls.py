@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinwright.llm.workspace import smallest_hashes
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict and rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -141,7 +143,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, la
     else:
         h, p = host_and_path(F.col("url"))
         known = labels.select("url", h.alias("host"), p.alias("path"), F.col("blocked").cast("int").alias("y"))
-    sample = known.where("y in (0, 1)").select("*", suffix_of(F.col("host")).alias("suffix")).orderBy(F.xxhash64("url"), "url", "y").limit(most)
+    sample = smallest_hashes(known.where("y in (0, 1)").select("*", suffix_of(F.col("host")).alias("suffix")), "url", most)
     plain = lexical_features(F.col("url"), F.col("host"), F.col("path"), F.lit(0.0))
     rows = sample.select("suffix", "y", *[plain[f].alias(f) for f in FEATURES[:-1]]).collect()  # ``most`` rows at most
     seen: dict[str, list[int]] = {}
