@@ -72,7 +72,7 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _byte_counts(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps.view(np.uint8).reshape(-1, 8))
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8))
 
 
 def tile_order(fps: np.ndarray) -> np.ndarray:
