@@ -112,7 +112,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.concat_ws("/", F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.hex("_sha"))
     chunks, bits = build_filter(gone.select(key.alias("_key")), "_key", n)
     chunks = work.write(chunks, "filter")
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))})
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    marked = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("_id"), sha.alias("_sha"))
     marked = maybe_in(marked, key, chunks, bits)
     twins = gone.select("_id", "_sha", "_again").distinct()
     one, two = marked.where("maybe").alias("one"), twins.alias("two")
@@ -122,4 +123,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if not again.isEmpty():  # rows of one id and text: one of them stays
         some = stay.alias("one").join(again.alias("two"), same, "left_semi")
         stay = stay.alias("one").join(again.alias("two"), same, "left_anti").unionByName(some.dropDuplicates(["_id", "_sha"]))
-    return marked.where("not maybe").unionByName(stay).select(*docs.columns)
+    return marked.where("not maybe").unionByName(stay).select("doc.*")

@@ -40,9 +40,15 @@ PLAN = "source string, blocks long, source_size long, target double, whole long,
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def in_order(names) -> list:
+    """By code point, null last."""
+    names = list(names)
+    return sorted((s for s in names if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in names)
+
+
 def targets(sizes: dict, weights: tuple[float, ...], share: float, most: float) -> dict:
     """Words for each source: by weight, never above ``most`` times its size, the excess dealt again by weight."""
-    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    names = in_order(sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
     left, open_, out = share * sum(sizes.values()), list(names), {}
     while open_:
@@ -103,9 +109,11 @@ class Mixture:
         totals = self.rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()  # one row for each source
         goal = targets({r.source: r.words for r in totals}, weights, share, most)
         plan = []
-        for r in totals:
+        total_of = {r.source: r for r in totals}
+        for r in map(total_of.get, in_order(total_of)):
             whole = int(goal[r.source] // r.words) if r.words else 0
             plan.append((r.source, min(max(r.n // BLOCK_ROWS, 1), MOST_BLOCKS), r.words, float(goal[r.source]), whole, int(round(goal[r.source] - whole * r.words))))
+        self.goals = plan
         self.plan = docs.sparkSession.createDataFrame(plan, PLAN)
         self._blocks()
 
@@ -119,11 +127,19 @@ class Mixture:
     def _blocks(self) -> None:
         placed = self._placed()
         blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-        upto = F.sum("words").over(Window.partitionBy("source").orderBy("block"))  # MOST_BLOCKS rows of a source
-        beyond = blocks.withColumn("before", upto - F.col("words")).where(F.col("before") + F.col("words") > F.col("rest"))
-        cut = beyond.groupBy("source").agg(F.min("block").alias("cut"), (F.first("rest") - F.min("before")).alias("room")).collect()  # one row for each source
+        own = blocks.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block", "words"))).alias("own"), F.first("rest").alias("rest"))  # MOST_BLOCKS entries of a source
+        start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(-1).cast("long").alias("cut"))
+
+        def step(acc: Column, x: Column) -> Column:
+            upto = acc["before"] + x["words"]
+            ends = (acc["cut"] < 0) & (upto > F.col("rest"))
+            before = F.when(ends | (acc["cut"] >= 0), acc["before"]).otherwise(upto)
+            return F.struct(before.alias("before"), F.when(ends, x["block"]).otherwise(acc["cut"]).alias("cut"))
+
+        found = own.select("source", "rest", F.aggregate("own", start, step).alias("at")).where("at.cut >= 0")
+        cut = found.select("source", "at.cut", (F.col("rest") - F.col("at.before")).alias("room")).collect()  # one row for each source
         cuts = {r.source: (r.cut, r.room) for r in cut}
-        plan = [(*r, *cuts.get(r.source, (r.blocks if r.rest else 0, 0))) for r in self.plan.collect()]
+        plan = [(*r, *cuts.get(r[0], (r[1] if r[5] else 0, 0))) for r in self.goals]
         names = [p[0] for p in plan]
         quota = np.array([p[4] * p[1] + p[6] + (p[7] > 0) for p in plan], np.int64)
         split = split_quotas(quota, self.shards, self.seed)
@@ -155,24 +171,20 @@ class Mixture:
 
     def mixed(self) -> DataFrame:
         """The rows of ``docs``, repeated as the mix takes them, dealt to the shards and shuffled inside each."""
-        docs = self.docs.withColumn("_turn", self._turn(F.col(self.id_col).cast("long")))
-        plan = F.broadcast(self.plan.withColumnRenamed("source", "_own"))
-        docs = docs.join(plan, F.expr(f"`{self.source_col}` <=> _own")).withColumn("block", F.pmod("_turn", "blocks"))
         size = F.coalesce(F.regexp_count(F.col(self.text_col), F.lit(WORD)), F.lit(0)).cast("long")
+        docs = self.docs.select(F.struct("*").alias("doc"), F.col(self.id_col).cast("long").alias("id"), F.col(self.source_col).alias("source"), size.alias("size"))
+        plan = F.broadcast(self.plan.withColumnRenamed("source", "own"))
+        docs = docs.withColumn("turn", self._turn()).join(plan, F.expr("source <=> own")).withColumn("block", F.pmod("turn", "blocks"))
         at_edge = (F.col("block") == F.col("cut")) & (F.col("room") > 0)
-        fits = self._placed().where("block = cut and room > 0").join(self.filled, "place", "left_semi").groupBy("id", "size").agg(F.count("*").alias("fits"))
-        edge = docs.where(at_edge).withColumn("_size", size)
-        again = F.row_number().over(Window.partitionBy(self.id_col, "_size").orderBy(self.id_col))
-        edge = edge.withColumn("_again", again).alias("e").join(fits.alias("f"), F.expr(f"e.`{self.id_col}` <=> f.id and e._size = f.size"), "left")
-        edge = edge.withColumn("_fits", F.when(F.col("_again") <= F.col("f.fits"), 1).otherwise(0))
-        inner = docs.where(~at_edge).withColumn("_fits", F.when(F.col("block") < F.col("cut"), 1).otherwise(0))
-        names = [F.col(f"`{c}`") for c in self.docs.columns]
-        own = [*names, "_turn", "block", "blocks", "whole", "step", "start", "quota", "ends", "_fits"]
-        edge = edge.select(*[F.col(f"e.`{c}`") for c in self.docs.columns], *own[len(names) :])
-        rows = inner.select(*own).unionByName(edge)
-        n = (F.col("whole") + F.col("_fits")).cast("int")
-        rows = rows.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), n - 1)))
+        taken = self._placed().where(at_edge).join(self.filled, "place", "left_semi").groupBy("id", "size").agg(F.count("*").alias("taken"))
+        again = F.row_number().over(Window.partitionBy("id", "size").orderBy("id"))  # rows that share id and size
+        edge = docs.where(at_edge).withColumn("again", again).alias("e").join(taken.alias("t"), F.expr("e.id <=> t.id AND e.size = t.size"), "left")
+        names = ["doc", "turn", "block", "blocks", "whole", "step", "start", "quota", "ends"]
+        edge = edge.select(*[f"e.{c}" for c in names], F.when(F.col("again") <= F.col("t.taken"), 1).otherwise(0).alias("fits"))
+        inner = docs.where(~at_edge).select(*names, F.when(F.col("block") < F.col("cut"), 1).otherwise(0).alias("fits"))
+        n = (F.col("whole") + F.col("fits")).cast("int")
+        rows = inner.unionByName(edge).where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), n - 1)))
         place = F.pmod(F.col("step") * (F.col("_copy") * F.col("blocks") + F.col("block")) + F.col("start"), F.col("quota"))
         rows = rows.withColumn("_shard", F.size(F.filter("ends", lambda e: e <= place)))
-        dealt = rows.repartition(self.shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_turn", "_copy"), "_turn", "_copy")
-        return dealt.select(*names)
+        dealt = rows.repartition(self.shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("turn", "_copy"), "turn", "_copy")
+        return dealt.select("doc.*")

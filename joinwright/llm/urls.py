@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict and rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "suffix_blocked")
+#: Suffixes whose rate is known, the most frequent of the sample; others have the sample's rate.
+SUFFIXES = 200
 ROUNDS, DEPTH, RATE, LEAVES_LEAST, CUTS = 30, 3, 0.3, 10, 16
 
 
@@ -159,7 +161,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, la
         model = BoostedTrees(base=9.0 if y[0] else -9.0)
     stat = F.lit(rate)
     if blocked:
-        often = sorted(blocked, key=lambda s: (-len(seen[s]), s))[:200]
+        often = sorted(blocked, key=lambda s: (-len(seen[s]), s))[:SUFFIXES]
         case = None
         for s in often:
             hit = F.col("suffix") == s

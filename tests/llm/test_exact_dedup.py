@@ -41,7 +41,7 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
 
 
 def test_dropping_keeps_columns_and_one_of_each(spark):
-    docs = spark.createDataFrame([(i, t, i) for i, t in ROWS], "doc_id long, text string, _key int")
+    docs = spark.createDataFrame([(i, t, i) for i, t in ROWS], "doc_id long, text string, maybe int").withColumn("doc", F.lit(1)).withColumn("chunk", F.lit(2))
     kept = drop_exact_duplicates(docs, keep="largest")
     assert kept.columns == docs.columns
     want = brute(ROWS, max)
