@@ -2,9 +2,10 @@
 
 Two first-order character models are trained, one of random strings and one of
 ordinary identifiers, from labelled samples: the values that the patterns found
-(and seeded random strings, so that the model is never empty) against words of
-the texts. A long token is a secret where its log-likelihood ratio for each
-character exceeds the threshold, which is above that of any sampled word.
+against words of the texts, each with a few seeded ones, so that no model is
+empty. A long token is a secret where its log-likelihood ratio for each
+character exceeds the threshold, which is above that of all but a thousandth of
+the sampled words.
 
 All texts are read once; what is found is written, and only that is scored.
 Built-in functions only. Defined cases: a null text counts as empty; rows keep
@@ -59,17 +60,19 @@ def spans(text: Column, pattern: str, group: int, least: int) -> Column:
 
 
 class MarkovModel:
-    """log P(next | last) over ALPHABET with one added to each count."""
+    """log P(next | last) over ALPHABET. Pairs fall back on single characters, and these on a small share for each, so what a model never saw stays unlikely."""
 
-    def __init__(self, samples: list[str]) -> None:
-        pairs, last = Counter(), Counter()
+    def __init__(self, samples: list[str], back: float = 5.0, share: float = 0.1) -> None:
+        pairs, last, single = Counter(), Counter(), Counter()
         for s in samples:
+            single.update(c for c in s if c in ALPHABET)
             for a, b in zip(s, s[1:]):
                 if a in ALPHABET and b in ALPHABET:
                     pairs[a, b] += 1
                     last[a] += 1
-        n = len(ALPHABET)
-        self.table = [log((pairs[a, b] + 1) / (last[a] + n)) for a in ALPHABET for b in ALPHABET]
+        whole = single.total() + share * len(ALPHABET)
+        alone = {c: (single[c] + share) / whole for c in ALPHABET}
+        self.table = [log((pairs[a, b] + back * alone[b]) / (last[a] + back)) for a in ALPHABET for b in ALPHABET]
 
 
 def ratio_table(secret: list[str], ordinary: list[str]) -> list[float]:
@@ -82,6 +85,10 @@ def ratio(table: list[float], token: str) -> float:
     return sum(table[k] for k in known) / max(len(token) - 1, 1)
 
 
+#: Ordinary identifiers that are always in the sample, so that its model is never empty either.
+SEEDED_WORDS = "username first_name last_name created_at updated_at request response connection configuration environment database repository application controller description parameters iterator exception template document paragraph international responsibility understanding characteristics version-2 page-10 utf-8 sha256sum example-text 2024-01-01".split()
+
+
 def seeded_strings(n: int = SEEDED) -> list[str]:
     """Random strings of the alphabets that keys are made of."""
     draw = random.Random(42)
@@ -96,7 +103,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.array().cast(SPAN)
     found = [F.when(F.col("likely"), spans(F.col("text"), RUNS.get(kind, pattern), group, least)).otherwise(none).alias(kind) for kind, pattern, group, least in KINDS]
     tokens = F.when(F.col("likely"), spans(F.col("text"), TOKEN, 0, 20)).otherwise(none).alias("tokens")
-    words = F.when(F.pmod(F.xxhash64("id"), F.lit(16)) == 0, F.slice(F.regexp_extract_all(F.col("text"), F.lit("([A-Za-z_]{6,})"), F.lit(1)), 1, SAMPLE_WORDS)).alias("words")
+    words = F.when(F.pmod(F.xxhash64("id"), F.lit(16)) == 0, F.slice(F.regexp_extract_all(F.col("text"), F.lit("([A-Za-z0-9_-]{6,})"), F.lit(1)), 1, SAMPLE_WORDS)).alias("words")
     read = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("likely", F.col("text").rlike(LIKELY))
     read = work.write(read.select("id", *found, tokens, words), "found")
 
@@ -104,10 +111,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = smallest_hashes(read.where(F.size(values) > 0), "id", SAMPLE_TEXTS).select(F.slice(values, 1, 20).alias("v"))
     secret = sorted({v for r in labelled.collect() for v in r.v if len(v) >= 8})
     plain = smallest_hashes(read.where(F.size("words") > 0), "id", SAMPLE_TEXTS).select("words", values.alias("v"))
-    ordinary = sorted({w for r in plain.collect() for w in r.words if not any(w in v for v in r.v)}) or ["identifier"]
+    ordinary = sorted({w for r in plain.collect() for w in r.words if len(w) < 20 and not any(w in v for v in r.v)} | {*SEEDED_WORDS})
     table = ratio_table(secret + seeded_strings(), ordinary)
-    long_words = [w for w in ordinary if len(w) >= 12]
-    least = max([LEAST_RATIO, *(ratio(table, w) for w in long_words)])
+    known = sorted(ratio(table, w) for w in ordinary if len(w) >= 12) or [0.0]
+    least = max(LEAST_RATIO, known[int(0.999 * (len(known) - 1))])
 
     n = len(ALPHABET)
     held = F.array(*map(F.lit, table))
