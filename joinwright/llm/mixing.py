@@ -14,7 +14,8 @@ Each source's blocks are then drawn in a permuted order, each shard its own
 stretch of it, so no block of a copy is drawn twice. Rows are shuffled inside
 their shard by a hash.
 
-Only one row for each source is held by the driver: a mixture names a weight
+Only one row for each source is held by the driver and broadcast, with the
+shard of each of its blocks (2 * MOST_BLOCKS at most): a mixture names a weight
 for each source. Everything else is a DataFrame.
 
 Defined cases: a null text has size 0; null sources are a source of their own,
@@ -25,7 +26,6 @@ empty table gives no row. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,8 @@ from joinwright.llm.workspace import Workspace
 
 #: Rows of a block at least, and blocks of a source at most.
 BLOCK_ROWS, MOST_BLOCKS = 64, 4096
+#: Words of an output shard, where no number of shards is given, and the least and most of these.
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 50_000_000, 64, 4096
 PLAN = "source string, blocks long, source_size long, target double, whole long, rest long"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -98,8 +100,8 @@ def _fill(group: pd.DataFrame) -> pd.DataFrame:
 class Mixture:
     """Which rows of ``docs`` the mix takes, how often, and into which shard."""
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> None:
-        self.docs, self.seed, self.shards = docs, seed, shards
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> None:
+        self.docs, self.seed = docs, seed
         self.id_col, self.text_col, self.source_col = id_col, text_col, source_col
         work = Workspace(docs.sparkSession, "mix")
         self.work = work
@@ -108,6 +110,7 @@ class Mixture:
         self.rows = work.write(rows, "rows")
         totals = self.rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()  # one row for each source
         goal = targets({r.source: r.words for r in totals}, weights, share, most)
+        self.shards = shards or min(max(-(-int(sum(goal.values())) // SHARD_WORDS), LEAST_SHARDS), MOST_SHARDS)
         plan = []
         total_of = {r.source: r for r in totals}
         for r in map(total_of.get, in_order(total_of)):
@@ -139,17 +142,16 @@ class Mixture:
         found = own.select("source", "rest", F.aggregate("own", start, step).alias("at")).where("at.cut >= 0")
         cut = found.select("source", "at.cut", (F.col("rest") - F.col("at.before")).alias("room")).collect()  # one row for each source
         cuts = {r.source: (r.cut, r.room) for r in cut}
-        plan = [(*r, *cuts.get(r[0], (r[1] if r[5] else 0, 0))) for r in self.goals]
+        plan = [(*r, *(cuts.get(r[0], (r[1], 0)) if r[5] else (0, 0))) for r in self.goals]
         names = [p[0] for p in plan]
         quota = np.array([p[4] * p[1] + p[6] + (p[7] > 0) for p in plan], np.int64)
         split = split_quotas(quota, self.shards, self.seed)
         full = []
         for k, p in enumerate(plan):
-            n = max(int(quota[k]), 1)
-            start = int.from_bytes(hashlib.sha256(f"{self.seed}/{names[k]}".encode("utf-8", "replace")).digest()[:6], "little")
-            step = next(s for s in range(start % n, start % n + n + 1) if gcd(s, n) == 1)
-            full.append((*p, n, step, start % n, np.cumsum(split[:, k]).tolist()))
-        self.plan = self.work.spark.createDataFrame(full, PLAN + ", cut long, room long, quota long, step long, start long, ends array<long>")
+            key = int.from_bytes(hashlib.sha256(f"{self.seed}/{names[k]}".encode("utf-8", "replace")).digest()[:8], "little")
+            order = np.random.default_rng(key).permutation(int(quota[k]))
+            full.append((*p, np.searchsorted(np.cumsum(split[:, k]), order, side="right").tolist()))
+        self.plan = self.work.spark.createDataFrame(full, PLAN + ", cut long, room long, shard_of array<int>")
         edge = self._placed().where("block = cut and room > 0").select("source", "place", "id", "turn", "size", "room")
         self.filled = self.work.write(edge.groupBy("source").applyInPandas(_fill, "place long"), "filled")
 
@@ -159,9 +161,7 @@ class Mixture:
         edge = rows.where("block = cut and room > 0").join(self.filled.withColumn("fits", F.lit(1)), "place", "left")
         rows = rows.where("not (block = cut and room > 0)").withColumn("fits", F.when(F.col("block") < F.col("cut"), 1)).unionByName(edge)
         n = (F.col("whole") + F.coalesce("fits", F.lit(0))).cast("int")
-        unit = lambda c: c * F.col("blocks") + F.col("block")  # noqa: E731  blocks of the last copy are the first ``cut`` ones
-        place = lambda c: F.pmod(F.col("step") * unit(c) + F.col("start"), F.col("quota"))
-        shard = lambda c: F.size(F.filter("ends", lambda e: e <= place(c)))
+        shard = lambda c: F.element_at("shard_of", (c * F.col("blocks") + F.col("block") + 1).cast("int"))  # noqa: E731  blocks of the last copy are the first ``cut`` ones
         shards = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), shard)).otherwise(F.array().cast("array<int>"))
         return rows.select("id", "source", "size", "source_size", "target", shards.alias("shards"))
 
@@ -179,12 +179,11 @@ class Mixture:
         taken = self._placed().where(at_edge).join(self.filled, "place", "left_semi").groupBy("id", "size").agg(F.count("*").alias("taken"))
         again = F.row_number().over(Window.partitionBy("id", "size").orderBy("id"))  # rows that share id and size
         edge = docs.where(at_edge).withColumn("again", again).alias("e").join(taken.alias("t"), F.expr("e.id <=> t.id AND e.size = t.size"), "left")
-        names = ["doc", "turn", "block", "blocks", "whole", "step", "start", "quota", "ends"]
+        names = ["doc", "turn", "block", "blocks", "whole", "shard_of"]
         edge = edge.select(*[f"e.{c}" for c in names], F.when(F.col("again") <= F.col("t.taken"), 1).otherwise(0).alias("fits"))
         inner = docs.where(~at_edge).select(*names, F.when(F.col("block") < F.col("cut"), 1).otherwise(0).alias("fits"))
         n = (F.col("whole") + F.col("fits")).cast("int")
         rows = inner.unionByName(edge).where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), n - 1)))
-        place = F.pmod(F.col("step") * (F.col("_copy") * F.col("blocks") + F.col("block")) + F.col("start"), F.col("quota"))
-        rows = rows.withColumn("_shard", F.size(F.filter("ends", lambda e: e <= place)))
+        rows = rows.withColumn("_shard", F.element_at("shard_of", (F.col("_copy") * F.col("blocks") + F.col("block") + 1).cast("int"))).drop("shard_of")
         dealt = rows.repartition(self.shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("turn", "_copy"), "turn", "_copy")
         return dealt.select("doc.*")
