@@ -95,25 +95,31 @@ def without_near_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def select_features(found: list[Counter], labels: np.ndarray, most: int = 2000) -> list[str]:
+def select_features(texts: list[str], labels: np.ndarray, most: int = 2000) -> list[str]:
     """Features of toxic texts that clean ones next to never have, the most frequent first.
 
     One is taken if enough toxic texts have it, or if it explains texts that no
     earlier one does and comes more than once in each: rare words of a text
-    that meet by chance come once.
+    that meet by chance come once. A text's features are found when they are
+    needed and not kept.
     """
     toxic, clean, often = Counter(), Counter(), Counter()
-    for s, y in zip(found, labels):
-        (toxic if y else clean).update(s.keys())
-        if y:
-            often.update(s)
-    n = int(labels.sum())
-    some = [f for f, k in toxic.items() if k >= 2 and clean[f] <= 0.02 * k]
+    bad = [t for t, y in zip(texts, labels) if y]
+    n = len(bad)
+    for text in bad:
+        own = features(text)
+        toxic.update(own.keys())
+        often.update(own)
+    toxic = {f: k for f, k in toxic.items() if k >= 2}
+    for text, y in zip(texts, labels):
+        if not y:
+            clean.update(features(text).keys() & toxic.keys())
+    some = [f for f, k in toxic.items() if clean[f] <= 0.02 * k]
     some.sort(key=lambda f: (-often[f], f[0] == MARK, -len(f), f))
     where = {f: i for i, f in enumerate(some)}
     has = [[] for _ in some]
-    for d, s in enumerate(s for s, y in zip(found, labels) if y):
-        for f in s.keys() & where.keys():
+    for d, text in enumerate(bad):
+        for f in features(text).keys() & where.keys():
             has[where[f]].append(d)
     covered, out = np.zeros(n, bool), []
     for f, docs in zip(some, has):
@@ -132,7 +138,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 400, ridge: float = 1e-3) -> S
     labels = np.array([y for _, y in rows], np.int64)
     if not len(labels) or labels.min() == labels.max():
         return SeverityModel()
-    chosen = select_features([features(t) for t, _ in rows], labels)
+    chosen = select_features([t for t, _ in rows], labels)
     column = {f: i for i, f in enumerate(chosen)}
     probe = SeverityModel(dict.fromkeys(chosen, 1.0))
     counts = [probe.hits(t) for t, _ in rows]

@@ -52,8 +52,10 @@ def test_near_copies_are_left_out():
 
 
 def test_selection_needs_toxic_texts_only():
-    found = [features("bad word")] * 5 + [features("good word")] * 5
-    assert "word" not in select_features(found, np.array([1] * 5 + [0] * 5))
+    texts = ["bad word bad"] * 9 + ["good word"] * 9
+    chosen = select_features(texts, np.array([1] * 9 + [0] * 9))
+    assert "bad" in chosen and "word" not in chosen
+    assert features("Bad")["bad"] == features("bad")["^bad"] == 1
 
 
 def test_query_rows_columns_and_odd_input(spark):
