@@ -34,7 +34,7 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 #: Entries of a worker's memo of words, of its memo of pairs, and characters of text worked on at once.
-WORDS, PAIRS, CHUNK = 800_000, 1_000_000, 1_000_000
+WORDS, PAIRS, CHUNK = 300_000, 400_000, 500_000
 #: Below this code point composition changes nothing and lower case goes character by character.
 PLAIN = 0x250
 #: Bytes of the longest token with the end-of-word suffix that is sought.
