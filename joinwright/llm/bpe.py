@@ -35,13 +35,13 @@ from tokenizers.pre_tokenizers import Split
 
 #: Entries of a worker's memo of words, of its memo of pairs, and characters of text worked on at once.
 WORDS, PAIRS, CHUNK = 300_000, 400_000, 500_000
-#: Below this code point composition changes nothing and lower case goes character by character.
+#: Below this code point composition changes nothing and lower case goes character by character; some capitals below have theirs at or above it.
 PLAIN = 0x250
 #: Bytes of the longest token with the end-of-word suffix that is sought.
 LONGEST_END = 64
 #: Stands for a pair without a merge; ranks after all others.
 NONE = (1 << 62, -1)
-_UNPLAIN = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
+_UNPLAIN = re.compile(f"[{''.join(chr(c) for c in range(PLAIN) if max(chr(c).lower()) >= chr(PLAIN))}{chr(PLAIN)}-\U0010ffff]")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _PATTERN = rf"{_CONTRACTIONS}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"
 

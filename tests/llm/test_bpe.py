@@ -37,6 +37,12 @@ def test_same_ids_as_the_library(own, library):
     assert 0 < own.failed < own.speculated
 
 
+def test_each_plain_character_inside_a_word(own, library):
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x250) for a, b in (("ab", "cd"), ("", "kra"), ("'", " 7"))] + ["Əliyev Baku", "Ɔkra", "WȺSANEC"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, own.encode(texts), want) if g.tolist() != w] == []
+
+
 def test_speculation_and_exact_merging_agree(own):
     for word in (b"reconsiderations", b"thonnttiontion", b"aaaaaaaaab", b"x", "é".encode()):
         exact = own.merge(own.symbols_of(word))
