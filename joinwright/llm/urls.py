@@ -3,9 +3,10 @@
 The longest fitting rule decides. Other URLs get the verdict of gradient-boosted
 regression trees (logistic loss) over lexical features: length, host length,
 depth, digit ratio, character entropy, number of parameters, hyphens, and how
-often URLs with the same host suffix are blocked. The trees are trained on the
-driver from a bounded sample (``most``) of labelled URLs; where no labels are
-given, those that a rule fits are labelled by it. A trained model becomes one
+often URLs with the same host suffix are blocked, counted over all labelled
+URLs. The trees alone are trained on the driver from a bounded sample
+(``most``) of these; where no labels are given, those that a rule fits are
+labelled by it. A trained model becomes one
 SQL expression of nested CASEs, so scoring stays in generated code.
 
 Built-in functions only on the data. Defined cases: a null URL, or one without
@@ -22,14 +23,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joinwright.llm.workspace import smallest_hashes
+from joinwright.llm.workspace import Workspace, smallest_hashes
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict and rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "suffix_blocked")
-#: Suffixes whose rate is known, the most frequent of the sample; others have the sample's rate.
-SUFFIXES = 200
+#: So many suffixes are sent to every task; more are joined by a shuffle.
+BROADCAST_SUFFIXES = 100_000
 ROUNDS, DEPTH, RATE, LEAVES_LEAST, CUTS = 30, 3, 0.3, 10, 16
 
 
@@ -145,30 +146,25 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, la
     else:
         h, p = host_and_path(F.col("url"))
         known = labels.select("url", h.alias("host"), p.alias("path"), F.col("blocked").cast("int").alias("y"))
-    sample = smallest_hashes(known.where("y in (0, 1)").select("*", suffix_of(F.col("host")).alias("suffix")), "url", most)
-    plain = lexical_features(F.col("url"), F.col("host"), F.col("path"), F.lit(0.0))
-    rows = sample.select("suffix", "y", *[plain[f].alias(f) for f in FEATURES[:-1]]).collect()  # ``most`` rows at most
-    seen: dict[str, list[int]] = {}
-    for r in rows:
-        seen.setdefault(r.suffix, []).append(r.y)
+    known = known.where("y in (0, 1)").select("*", suffix_of(F.col("host")).alias("suffix"))
+    suffixes = Workspace(pages.sparkSession, "urls").write(known.groupBy("suffix").agg(F.sum("y").alias("blocked"), F.count("*").alias("n")), "suffixes")
+    whole = suffixes.agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"), F.count("*").alias("suffixes")).first()
+    rate = whole.blocked / whole.n if whole.n else 0.0
+    stats = suffixes.select("suffix", ((F.col("blocked") + rate) / (F.col("n") + 1)).alias("stat"))
+    plain = lexical_features(F.col("url"), F.col("host"), F.col("path"), F.col("stat"))
+    sample = F.broadcast(smallest_hashes(known, "url", most)).join(stats, "suffix")
+    rows = sample.select("y", *[plain[f].alias(f) for f in FEATURES]).orderBy("y", *FEATURES).collect()  # ``most`` rows at most
     y = np.array([r.y for r in rows], float)
-    rate = float(y.mean()) if len(y) else 0.0
-    blocked = {s: (sum(v) + rate) / (len(v) + 1) for s, v in seen.items()}
     model = BoostedTrees(base=-9.0)
     if len(y) and y.min() != y.max():
-        model = BoostedTrees().fit(np.array([[*r[2:], blocked[r.suffix]] for r in rows], float), y)
+        model = BoostedTrees().fit(np.array([r[1:] for r in rows], float), y)
     elif len(y):
         model = BoostedTrees(base=9.0 if y[0] else -9.0)
-    stat = F.lit(rate)
-    if blocked:
-        often = sorted(blocked, key=lambda s: (-len(seen[s]), s))[:SUFFIXES]
-        case = None
-        for s in often:
-            hit = F.col("suffix") == s
-            case = F.when(hit, blocked[s]) if case is None else case.when(hit, blocked[s])
-        stat = case.otherwise(rate)
+    stats = F.broadcast(stats) if whole.suffixes <= BROADCAST_SUFFIXES else stats
+    read = read.withColumn("suffix", suffix_of(F.col("host"))).join(stats, "suffix", "left")
+    stat = F.coalesce("stat", F.lit(rate))
     features = lexical_features(F.col("url"), F.col("host"), F.col("path"), stat)
-    scored = read.withColumn("suffix", suffix_of(F.col("host"))).select("id", "host", "path", *[features[f].alias(f) for f in FEATURES])
+    scored = read.select("id", "host", "path", *[features[f].alias(f) for f in FEATURES])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     scored = scored.withColumn("score", model.column([F.col(f) for f in FEATURES]))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from joinwright.llm import urls
 from joinwright.llm.urls import RULES, BoostedTrees, filter_urls
 
 URLS = [
@@ -56,6 +57,17 @@ def test_held_out_accuracy_of_the_trees(spark):
     assert {r.verdict for r in filter_urls(pages, rules=(), labels=one.limit(0)).collect()} == {"allow"}
 
 
+def test_each_suffix_has_its_own_rate(spark, monkeypatch):
+    draw = random.Random(4)
+    bad = [int(draw.random() < 0.5) for _ in range(600)]
+    labels = spark.createDataFrame([(f"http://d{k:03}.net/p{j}", bad[k]) for k in range(600) for j in range(6)], "url string, blocked int")
+    pages = spark.createDataFrame([(k, f"http://d{k:03}.net/p7") for k in range(600)], "page_id long, url string")
+    for most, limit in ((4000, 100_000), (600, 10)):
+        monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", limit, raising=False)
+        found = {r.id: r.verdict for r in filter_urls(pages, rules=(), labels=labels, most=most).collect()}
+        assert np.mean([(found[k] == "block") == bool(bad[k]) for k in range(600)]) >= 0.99
+
+
 def test_the_expression_says_what_the_trees_say(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(400, 3))
