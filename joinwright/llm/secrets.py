@@ -30,8 +30,8 @@ KINDS = (
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]+", 0, 32),
 )
-#: A long run with a digit in it; it can only begin where no such run goes on, so each run is looked at once.
-RANDOM, TOKEN = "random", "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A long run; it can only begin where no such run goes on, so each run is looked at once. Shorter ones are not scored.
+RANDOM, TOKEN = "random", "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: What the patterns need at least, so that other texts are passed over.
 LIKELY = "[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|" + TOKEN
 #: The patterns of long runs with their least length written in, which finds the same runs.

@@ -35,6 +35,12 @@ def test_base_spans_against_brute_force(spark):
     assert secret_report(docs.limit(0)).count() == 0
 
 
+def test_random_letters_without_a_digit(spark):
+    key = "ZqKXwRLrWTvJKpQNmVHdGBsDJfFGcYYt"
+    docs = spark.createDataFrame([(0, f"see {key} here"), (1, "see the_international_application_controller here"), (2, "tiontiontionedshtithethatwith")], "doc_id long, text string")
+    assert {r.id: r.spans for r in secret_report(docs).collect()} == {0: f"random:4:{4 + len(key)}", 1: "", 2: ""}
+
+
 def test_models_part_held_out_samples():
     draw = random.Random(9)
     words = ["".join(draw.choices(["tion", "ing", "er", "con", "ver", "al", "ment", "user", "name", "_"], k=6)) for _ in range(600)]
