@@ -215,10 +215,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; of repeated ids all rows. Rows with a null id stay."""
+    """The rows of ``docs`` whose id is its component's smallest; of repeated ids all rows. Rows with a null id stay.
+
+    An id alone says which rows go, but for ids that stand on texts of several
+    components, one of which keeps it: these rows are told apart by their
+    fingerprints, which are made again for them alone.
+    """
+    work = Workspace(docs.sparkSession, "keep")
     found = near_duplicates(docs, id_col, **options)
-    gone = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = work.write(found.where("id <> component").select("id", "fp").distinct(), "gone")
+    torn = found.where("id = component").join(gone.select("id").distinct(), "id", "left_semi").select(F.col("id").alias(id_col)).distinct()
+    torn = work.write(torn, "torn")
+    stay = docs.join(gone.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    if torn.isEmpty():
+        return stay
+    some = docs.join(torn, id_col, "left_semi").select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    some = work.write(some, "some")
+    said = {k: v for k, v in options.items() if k in ("width", "seed")}
+    made = simhash_fingerprints(some.select("row", F.col(f"doc.{options.get('text_col', 'text')}").alias("text")), "row", **said)
+    some = some.join(made.withColumnRenamed("id", "row"), "row").select("doc", F.col(f"doc.{id_col}").cast("long").alias("id"), "fp")
+    return stay.unionByName(some.join(gone, ["id", "fp"], "left_anti").select("doc.*"))
 
 
 def hex_fingerprint(fp: str = "fp"):

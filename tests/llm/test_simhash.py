@@ -69,6 +69,14 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert all(r.doc_id != 9 or brute_fingerprint(BASE) != brute_fingerprint(BASE + " x") for r in kept)
 
 
+def test_one_id_on_two_texts_loses_only_the_copy(spark):
+    other = "quite different words are written in this line, which no other text has in common with it"
+    docs = spark.createDataFrame([(1, BASE, "a"), (5, BASE, "b"), (5, other, "c"), (7, other, "d"), (8, "a third text that stands alone here", "e")], "doc_id long, text string, row string")
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.row) for r in kept.collect()) == [(1, "a"), (5, "c"), (8, "e")]
+
+
 def test_hex(spark):
     row = spark.createDataFrame([(-1,), (5,)], "fp long").select(hex_fingerprint().alias("h")).collect()
     assert [r.h for r in row] == ["f" * 16, "0" * 15 + "5"]
