@@ -98,14 +98,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 """,
     "op9_chat": """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>' || chr(10) AS body FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS raw FROM conversations),
+u AS (SELECT *, replace(raw, '<|', '<\\|') || '<|end|>' || chr(10) AS body,
+             CASE WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || replace(replace(role, '<|', '<\\|'), '|>', '|\\>') || '|>' END || chr(10) AS other FROM t),
+b AS (SELECT *, row_number() OVER w AS k, CAST(floor((sum(length(other) + length(body)) OVER w - length(other) - length(body)) / 1048576) AS BIGINT) AS part FROM u
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, sha256(raw) ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-e AS (SELECT t.conv_id, s.speaker, CAST(floor(t.turn / 64) AS BIGINT) AS part, t.turn, t.role, t.body,
-             CASE WHEN t.role = s.speaker THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' ELSE '<|user:' || t.role || '|>' END || chr(10) AS head
-      FROM t JOIN s ON t.conv_id = s.conv_id),
-p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, body) AS upto FROM e)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, body) AS text,
-       coalesce(string_agg(CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, body) FILTER (WHERE role = speaker), '') AS masks
+e AS (SELECT b.*, s.speaker, CASE WHEN b.role = s.speaker THEN '<|assistant|>' || chr(10) ELSE other END AS head FROM b JOIN s ON b.conv_id = s.conv_id),
+p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM e)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
+       coalesce(string_agg(CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (WHERE role = speaker), '') AS masks
 FROM p GROUP BY conv_id, speaker, part
 """,
 }
