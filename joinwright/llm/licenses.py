@@ -1,17 +1,25 @@
 """Licence scans with a positional index of rare words.
 
-Templates are word sequences with a label and a mandatory key phrase. The
-index holds, for each template, postings (word, template, position) of its
-rarest words by inverse document frequency, counted over all texts. A text's
-licence words of highest frequency weight are looked up; postings that agree on
-where the template would start are put together; what holds the template's
-rarest word and enough of the weight is compared word by word, and stands only
-if its key phrase is whole. A base phrase is a template that is all key phrase,
-so it is found wherever its words stand consecutively.
+A licence has templates: short names, and sentences of its text or its notice.
+Each template is a word sequence with mandatory key phrases. One pass over the
+texts writes the places of all words that templates use (but for the most
+common ones, which a template is told apart without); document frequencies are
+counted from what was written. The index holds, for each template, postings
+(word, template, position) of its rarest words by inverse document frequency.
+The places of these words are looked up in it; postings that agree on where the
+template would begin, give or take ``SLACK`` words where it may be altered, are
+put together, and where their weight suffices the template is a candidate. No
+one word is mandatory. The words around a candidate are then held against the
+whole template: enough of them must stand near their place, and every key
+phrase must be whole. A name allows no slack and is all key phrase, so it is
+found wherever its words stand consecutively.
 
 Built-in functions only. Defined cases: a null text counts as empty; rows keep
-their ids, null or repeated; an empty table gives no row; other columns are
-ignored; overlapping places each count.
+their ids, null or repeated; repeated rows stay repeated; a very long text is
+one array of words in its task, and its places are grouped by stretches of 64
+words, not by text; overlapping places each count, and of places of one
+template that begin within ``SLACK`` words the best is listed (ties to the
+first); an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,112 +27,163 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joinwright.llm.workspace import Workspace
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words.
+GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Words that are in every text; names may hold them, key phrases do not.
+COMMON = frozenset("a all an and any are as at be but for from if in is it its may no not of on or such that the their they this to was with you your".split())
 
 
 @dataclass(frozen=True)
 class Template:
     label: str
     words: str
-    key: str
+    keys: tuple[str, ...] = ()
     base: bool = False
 
+    @property
+    def name(self) -> bool:
+        """Without key phrases of its own a template is one."""
+        return not self.keys
+
 
 #: The base phrases and their labels.
 BASE = (
-    Template("gpl", "gnu general public license", "gnu general public license", True),
-    Template("apache", "apache license", "apache license", True),
-    Template("cc-by", "cc by", "cc by", True),
-    Template("mit", "mit license", "mit license", True),
+    Template("gpl", "gnu general public license", base=True),
+    Template("apache", "apache license", base=True),
+    Template("cc-by", "cc by", base=True),
+    Template("mit", "mit license", base=True),
+)
+#: Names of public licences, in words.
+NAMES = (
+    Template("gpl-3.0", "gnu general public license version 3"),
+    Template("gpl-2.0", "gnu general public license version 2"),
+    Template("lgpl", "gnu lesser general public license"),
+    Template("agpl", "gnu affero general public license"),
+    Template("apache-2.0", "apache license version 2 0"),
+    Template("cc-by-nc", "cc by nc"),
+    Template("cc-by-sa", "cc by sa"),
+    Template("mpl", "mozilla public license"),
+    Template("epl", "eclipse public license"),
+    Template("bsl", "boost software license"),
 )
-#: Sentences of public licences, in words, with the phrase that must be whole.
-TEXTS = (
-    Template("gpl-3.0", "gnu general public license version 3", "license version 3"),
-    Template("gpl-2.0", "gnu general public license version 2", "license version 2"),
-    Template("lgpl", "gnu lesser general public license", "lesser general public license"),
-    Template("agpl", "gnu affero general public license", "affero general public license"),
-    Template("apache-2.0", "apache license version 2 0", "license version 2 0"),
-    Template("cc-by-nc", "cc by nc", "cc by nc"),
-    Template("cc-by-sa", "cc by sa", "cc by sa"),
-    Template("mpl", "mozilla public license", "mozilla public license"),
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "obtaining a copy"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+#: Sentences of public licences and notices, in words, with the phrases that must be whole.
+SENTENCES = (
+    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("hereby granted",)),
+    Template("mit-text", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("without restriction", "merge publish distribute")),
+    Template("mit-text", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission notice", "substantial portions")),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("binary forms",)),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("source code must retain",)),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("binary form must reproduce",)),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("prior written permission",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("without fee", "hereby granted")),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("licensed under", "apache license version 2 0")),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("applicable law", "warranties")),
+    Template("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("free software foundation",)),
+    Template("gpl-text", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("implied warranty", "particular purpose")),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("source code form", "mozilla public license")),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("compiled binary",)),
+    Template("cc-by-text", "this work is licensed under a creative commons attribution international license", ("creative commons attribution",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("held liable",)),
 )
+TEXTS = NAMES + SENTENCES
 #: Postings of a template; part of their weight, and of its words, that a place must have.
-RARE, WEIGHT, COVER = 4, 0.6, 0.8
+RARE, WEIGHT, COVER = 8, 0.4, 0.7
+#: Words by which a word of a sentence may stand off its place against where the sentence begins; words of a stretch.
+SLACK, STRETCH = 6, 64
+PLACE = "array<struct<start:int,label:string,base:boolean,score:double>>"
 
 
-def words_of(text: Column) -> Column:
-    """Words as they stand; only those that are looked at are put in lower case."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+def _told(t: Template) -> list[tuple[int, str]]:
+    """(position, word) of what a template is told apart by: all words of a name, else those that are not common."""
+    return [(i, w) for i, w in enumerate(t.words.split()) if t.name or w not in COMMON]
 
 
-def lowered(word: Column) -> Column:
-    return F.translate(word, UPPER, LOWER)
+def word_places(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n_words, hits): one row for each of ``docs``; hits has (pos, word) of the known words, in lower case.
+
+    A word's letters are plain, so one of other letters that lower() maps to them is longer in bytes.
+    """
+    words = F.split(F.coalesce(F.col(text_col), F.lit("")), GAP, -1)
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    lead, trail = (F.element_at("words", i) == "" for i in (1, -1))  # a gap at an end leaves an empty string there
+    n = F.size("words") - lead.cast("int") - (trail & (F.size("words") > 1)).cast("int")
 
+    def known(at: Column) -> Column:
+        own = F.get("words", at)
+        return F.lower(own).isin(vocabulary) & (F.octet_length(own) == F.length(own))
 
-def _known(words: Column, vocabulary: list[str]) -> Column:
-    """Whether a word is of the vocabulary: its letters are plain, so a word of other letters that lower() maps to them is longer in bytes."""
-    return F.lower(words).isin(vocabulary) & (F.octet_length(words) == F.length(words))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), known)
+    hits = F.transform(places, lambda at: F.struct((at - lead.cast("int")).alias("pos"), F.lower(F.get("words", at)).alias("word")))
+    return read.select("row", "id", n.cast("long").alias("n_words"), hits.alias("hits"))
 
 
-def frequency_weights(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, float]:
+def frequency_weights(read: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """Inverse document frequency of the templates' words (one row for each to the driver)."""
-    found = F.array_distinct(F.transform(F.filter(words_of(F.col(text_col)), lambda w: _known(w, vocabulary)), F.lower))
-    rows = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    n = docs.count()
+    found = F.array_distinct(F.transform("hits", lambda h: h["word"]))
+    rows = read.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    n = read.count()
     count = {r.word: r.n for r in rows}
     return {w: log((n + 1) / (count.get(w, 0) + 0.5)) for w in vocabulary}
 
 
+def _stretches(first: Column, last: Column) -> Column:
+    cut = lambda c: F.floor(F.greatest(c, F.lit(0)) / STRETCH)
+    return F.sequence(cut(first), F.greatest(cut(first), cut(last)))
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, places): places has (label, base, start, score) for each place that stands."""
+    """(id, n_words, places): places has (start, label, base, score) for each place that stands."""
     spark = docs.sparkSession
     work = Workspace(spark, "licenses")
-    cut = [t.words.split() for t in templates]
-    vocabulary = sorted({w for words in cut for w in words})
-    idf = frequency_weights(docs, text_col, vocabulary)
+    vocabulary = sorted({w for t in templates for _, w in _told(t)} | {w for t in templates for k in t.keys for w in k.split()})
+    read = work.write(word_places(docs, vocabulary, id_col, text_col), "hits")
+    idf = frequency_weights(read, vocabulary)
+    hits = read.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.pos", "hit.word")
     postings, facts = [], []
-    for k, (t, words) in enumerate(zip(templates, cut)):
-        rare = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:RARE]
-        total = sum(idf[words[i]] for i in rare) or 1.0
-        postings += [(words[i], k, i, j == 0, idf[words[i]] / total) for j, i in enumerate(rare)]
-        key = t.key.split()
-        offset = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        facts.append((k, t.label, t.base, words, offset, key))
-    index = spark.createDataFrame(postings, "word string, template int, offset int, rarest boolean, weight double")
-    known = spark.createDataFrame(facts, "template int, label string, base boolean, words array<string>, key_offset int, key array<string>")
-    longest = max(map(len, cut))
-    sought = sorted({p[0] for p in postings})
-
-    words = words_of(F.col(text_col))
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(F.lower(w).alias("word"), i.alias("at"), w.alias("own"))), lambda x: _known(x.own, sought))
-    read = read.select("row", "id", F.size("words").cast("long").alias("n_words"), "words", hits.alias("hits"))
-    window = lambda x: F.slice("words", F.greatest(x["at"] - longest + 1, F.lit(0)) + 1, F.lit(2 * longest))
-    near = F.transform("hits", lambda x: F.struct(x["word"].alias("word"), x["at"].alias("at"), F.greatest(x["at"] - longest + 1, F.lit(0)).alias("first"), F.transform(window(x), lowered).alias("around")))
-    read = work.write(read.select("row", "id", "n_words", near.alias("hits")), "hits")
-
-    aligned = read.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(F.broadcast(index), "word")
-    aligned = aligned.withColumn("start", F.col("at") - F.col("offset")).where("start >= 0")
-    together = aligned.groupBy("row", "template", "start").agg(
-        F.sum("weight").alias("weight"), F.max("rarest").alias("rarest"), F.first(F.when(F.col("rarest"), F.struct("first", "around")), ignorenulls=True).alias("seen")
-    )
-    placed = together.where(F.col("rarest") & (F.col("weight") >= WEIGHT)).join(F.broadcast(known), "template")
-    own = F.slice(F.col("seen.around"), F.col("start") - F.col("seen.first") + 1, F.size("words"))
-    cover = F.size(F.filter(F.zip_with(own, "words", lambda a, b: a.eqNullSafe(b)), lambda x: x)) / F.size("words")
-    whole = F.slice(own, F.col("key_offset") + 1, F.size("key")) == F.col("key")
-    placed = placed.withColumn("cover", cover).where(whole & (F.col("cover") >= COVER))
-    places = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "label", "base", F.col("cover").alias("score")))).alias("places"))
-    return read.select("row", "id", "n_words").join(places, "row", "left").select("id", "n_words", F.coalesce("places", F.array().cast("array<struct<start:int,label:string,base:boolean,score:double>>")).alias("places"))
+    for k, t in enumerate(templates):
+        told = _told(t)
+        rare = sorted(told, key=lambda x: (-idf[x[1]], x[0]))[:RARE]
+        total = sum(idf[w] for _, w in rare) or 1.0
+        postings += [(w, k, i, 0 if t.name else SLACK, idf[w] / total) for i, w in rare]
+        facts.append((k, t.label, t.base, len(t.words.split()), 0 if t.name else 2 * SLACK, [{"at": i, "word": w} for i, w in told], [x.split() for x in t.keys]))
+    index = spark.createDataFrame(postings, "word string, template int, offset int, slack int, weight double")
+    known = spark.createDataFrame(facts, "template int, label string, base boolean, length int, off int, told array<struct<at:int,word:string>>, keys array<array<string>>")
+
+    # postings that agree on the beginning: exactly, or inside one of the half-overlapping bins of two slacks
+    looked = hits.join(F.broadcast(index), "word").withColumn("start", F.col("pos") - F.col("offset"))
+    half = F.floor(F.col("start") / SLACK).cast("int")
+    looked = looked.withColumn("begin", F.explode(F.when(F.col("slack") == 0, F.array("start")).otherwise(F.array(half * SLACK, (half - 1) * SLACK))))
+    found = F.collect_set(F.struct("offset", "weight"))  # RARE entries at most
+    candidates = looked.groupBy("row", "template", "begin").agg(found.alias("found"))
+    candidates = candidates.where(F.aggregate("found", F.lit(0.0), lambda acc, x: acc + x["weight"]) >= WEIGHT).select("row", "template", "begin")
+    candidates = candidates.join(F.broadcast(known), "template").withColumn("middle", F.col("begin") + F.floor(F.col("off") / 2).cast("int"))
+    first, last = F.col("middle") - F.col("off"), F.col("middle") + F.col("length") + F.col("off")
+    near = candidates.select("row", "template", "begin", first.alias("first"), last.alias("last"), F.explode(_stretches(first, last)).alias("stretch"))
+    near = near.join(hits.select("row", "pos", "word", F.floor(F.col("pos") / STRETCH).alias("stretch")), ["row", "stretch"]).where("pos >= first AND pos < last")
+    near = near.groupBy("row", "template", "begin").agg(F.collect_list(F.struct("pos", "word")).alias("seen"))  # a window's words at most
+
+    placed = near.join(F.broadcast(known), "template").withColumn("middle", F.col("begin") + F.floor(F.col("off") / 2).cast("int"))
+    at_place = lambda x: F.exists("seen", lambda s: (s["word"] == x["word"]) & (F.abs(s["pos"] - x["at"] - F.col("middle")) <= F.col("off")))
+    stands = lambda key, s: F.forall(F.sequence(F.lit(0), F.size(key) - 1), lambda i: F.array_contains("seen", F.struct((s["pos"] + i).alias("pos"), F.element_at(key, i + 1).alias("word"))))
+    whole = F.forall("keys", lambda key: F.exists("seen", lambda s: stands(key, s)))
+    score = F.size(F.filter("told", at_place)) / F.size("told")
+    least = F.when(F.size("keys") == 0, F.lit(1.0)).otherwise(F.lit(COVER))
+    begins = F.array_min(F.transform(F.filter("told", at_place), lambda x: F.array_min(F.transform(F.filter("seen", lambda s: (s["word"] == x["word"]) & (F.abs(s["pos"] - x["at"] - F.col("middle")) <= F.col("off"))), lambda s: s["pos"]))))
+    start = F.when(F.size("keys") == 0, F.col("begin")).otherwise(begins)
+    placed = placed.where("begin >= 0 OR off > 0").withColumn("score", score).where(whole & (F.col("score") >= least)).select("row", "template", "label", "base", "off", start.alias("start"), "score")
+    # neighbouring bins tell of one place
+    again = Window.partitionBy("row", "template", F.when(F.col("off") == 0, F.col("start"))).orderBy("start", F.desc("score"))
+    placed = placed.withColumn("before", F.lag("start").over(again)).withColumn("new", F.when((F.col("off") > 0) & (F.col("start") - F.col("before") <= SLACK), 0).otherwise(1))
+    placed = placed.withColumn("place", F.sum("new").over(again.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = placed.groupBy("row", "template", "label", "base", "place", F.when(F.col("off") == 0, F.col("start")).alias("exact")).agg(F.max("score").alias("score"), F.min("start").alias("start"))
+    places = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "label", "base", "score"))).alias("places"))
+    return read.select("row", "id", "n_words").join(places, "row", "left").select("id", "n_words", F.coalesce("places", F.array().cast(PLACE)).alias("places"))
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
