@@ -3,7 +3,8 @@
 Fingerprints come from XXH64 of word shingles. Distinct fingerprints are cut
 into tiles by population count; two tiles are compared only where their counts
 can be within the radius. Inside a pair of tiles the same test is made again on
-small tiles, with a count for each of the eight bytes: the sum of the gaps
+small tiles, with a count for each of the eight bytes (tiles stand in groups,
+and a task loads two groups for all pairs of their tiles): the sum of the gaps
 between two tiles' byte counts is a lower bound of the distance of any two
 members. What is left is compared in full, with exclusive-or and bit counts.
 
@@ -12,8 +13,9 @@ a large group of copies costs as many rows as it has members.
 
 Defined cases: a null text counts as empty; no word gives fingerprint zero,
 which is linked like any other; null ids keep their row and are ignored when a
-group's smallest id is sought; repeated rows are returned repeated; other
-columns are ignored; an empty table gives no row.
+group's smallest id is sought; repeated rows are returned repeated; a very long
+text is hashed whole in its task; of ids that tie for a component's smallest all
+rows have it; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinwright.llm.components import connected_components
+from joinwright.llm.filters import build_filter, maybe_in
 from joinwright.llm.workspace import Workspace
 
 LANES = np.uint64(0x0101010101010101)
 SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
 #: Members of a small tile, and of a tile; a tile grows until TILES hold all rows or it is full.
 SMALL, TILE_MIN, TILE_MAX, TILES = 256, 2048, 1 << 20, 64
+#: Tiles of a group; a square is the pairs of two groups.
+SIDE = 8
 
 
 def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
@@ -162,6 +167,18 @@ def _cut(counts: dict[int, int]) -> tuple[list[int], list[int], list[tuple[int,
     return first, many, bounds
 
 
+def _squares(bounds: list[tuple[int, int]], radius: int, cores: int) -> tuple[int, list[tuple[int, int]]]:
+    """Side of a square of tile pairs, and the squares that hold a pair within ``radius``: a task loads the tiles of two groups once for all their pairs."""
+    side = SIDE
+    while True:
+        low = [min(b[0] for b in bounds[k : k + side]) for k in range(0, len(bounds), side)]
+        high = [max(b[1] for b in bounds[k : k + side]) for k in range(0, len(bounds), side)]
+        squares = [(p, q) for p in range(len(low)) for q in range(p, len(low)) if low[q] - high[p] <= radius and low[p] - high[q] <= radius]
+        if side == 1 or len(squares) >= cores:
+            return side, squares
+        side //= 2
+
+
 def link_fingerprints(work: Workspace, fps: DataFrame, radius: int) -> DataFrame:
     """(u, v): edges that connect just the fingerprints within ``radius``. ``fps`` (fp) are distinct and written."""
     spark = work.spark
@@ -178,25 +195,24 @@ def link_fingerprints(work: Workspace, fps: DataFrame, radius: int) -> DataFrame
         return pa.table({"tile": group.column("tile")[:1].cast(pa.int32()), "fps": [own[tile_order(own)].tobytes()]})
 
     packed = work.write(tiles.groupBy("tile").applyInArrow(pack, "tile int, fps binary"), "tiles")
-    g = len(bounds)
-    box = lambda k, x: F.element_at(F.array(*(F.lit(b[k]) for b in bounds)), F.col(x) + 1)
-    pairs = (
-        spark.range(g)
-        .select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(g // 2))).alias("d"))
-        .where(~((F.lit(g % 2 == 0)) & (2 * F.col("d") == g) & (2 * F.col("a") >= g)))
-        .select("a", F.pmod(F.col("a") + F.col("d"), F.lit(g)).alias("b"))
-        .where((box(0, "a") - box(1, "b") <= radius) & (box(0, "b") - box(1, "a") <= radius))
-    )
-    both = pairs.join(packed.toDF("a", "one"), "a").join(packed.toDF("b", "two"), "b")
-    tasks = max(1, min(g * (g // 2 + 1), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, one, two in zip(*(batch.column(k) for k in range(4))):
-                u, v = compare_tiles(np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64), radius, a.as_py() == b.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    return both.repartition(tasks, "a", "b").select("a", "b", "one", "two").mapInArrow(run, "u long, v long")
+    side, squares = _squares(bounds, radius, 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(len(squares), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), len(squares) // 8)))
+    meets = spark.createDataFrame([(g, p, q) for p, q in squares for g in {p, q}], "g int, p int, q int")
+    sent = packed.withColumn("g", F.floor(F.col("tile") / side).cast("int")).join(meets, "g").select("p", "q", "tile", "fps")
+
+    def run(square: pa.Table) -> pa.Table:
+        p, q = square.column("p")[0].as_py(), square.column("q")[0].as_py()
+        held = {t.as_py(): np.frombuffer(f.as_buffer(), np.uint64) for t, f in zip(square.column("tile"), square.column("fps"))}
+        u, v = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for a in sorted(held):
+            for b in sorted(held):
+                if a <= b and a // side == p and b // side == q and bounds[b][0] - bounds[a][1] <= radius and bounds[a][0] - bounds[b][1] <= radius:
+                    x, y = compare_tiles(held[a], held[b], radius, a == b)
+                    u.append(x)
+                    v.append(y)
+        return pa.table({"u": np.concatenate(u).view(np.int64), "v": np.concatenate(v).view(np.int64)})
+
+    return sent.repartition(tasks, "p", "q").groupBy("p", "q").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -223,18 +239,26 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
     """
     work = Workspace(docs.sparkSession, "keep")
     found = near_duplicates(docs, id_col, **options)
-    gone = work.write(found.where("id <> component").select("id", "fp").distinct(), "gone")
-    torn = found.where("id = component").join(gone.select("id").distinct(), "id", "left_semi").select(F.col("id").alias(id_col)).distinct()
+    gone = work.write(found.where("id <> component").select(F.col("id").alias("_id"), F.col("fp").alias("_fp")).distinct(), "gone")
+    n = gone.count()
+    if not n:
+        return docs
+    torn = found.where("id = component").join(gone.select(F.col("_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("_id")).distinct()
     torn = work.write(torn, "torn")
-    stay = docs.join(gone.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    # what the filter of the ids that go does not hold is passed on where it is read; only suspects are shuffled
+    chunks, bits = build_filter(gone.select(F.col("_id").cast("string").alias("key")), "key", n)
+    chunks = work.write(chunks, "filter")
+    key = F.col(id_col).cast("long")
+    marked = maybe_in(docs.select(F.struct("*").alias("doc"), key.alias("_id")), F.coalesce(F.col("_id").cast("string"), F.lit("")), chunks, bits)
+    stay = marked.where("maybe").join(gone.select("_id").distinct(), "_id", "left_anti").select("doc").unionByName(marked.where("not maybe").select("doc")).select("doc.*")
     if torn.isEmpty():
         return stay
-    some = docs.join(torn, id_col, "left_semi").select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    some = docs.select(F.struct("*").alias("doc"), key.alias("_id"), F.monotonically_increasing_id().alias("row")).join(torn, "_id", "left_semi")
     some = work.write(some, "some")
     said = {k: v for k, v in options.items() if k in ("width", "seed")}
     made = simhash_fingerprints(some.select("row", F.col(f"doc.{options.get('text_col', 'text')}").alias("text")), "row", **said)
-    some = some.join(made.withColumnRenamed("id", "row"), "row").select("doc", F.col(f"doc.{id_col}").cast("long").alias("id"), "fp")
-    return stay.unionByName(some.join(gone, ["id", "fp"], "left_anti").select("doc.*"))
+    some = some.join(made.select(F.col("id").alias("row"), F.col("fp").alias("_fp")), "row")
+    return stay.unionByName(some.join(gone, ["_id", "_fp"], "left_anti").select("doc.*"))
 
 
 def hex_fingerprint(fp: str = "fp"):
