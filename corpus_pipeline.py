@@ -3,6 +3,13 @@
 Each stage is written as Parquet and reread as the next one's input. All stages
 but the last return the columns of ``documents``; the mix repeats rows as its
 targets ask.
+
+Defined cases: null texts count as empty, so that of all empty texts one stays;
+a null id is an id like any other to ``exact_dedup`` (it stays only where its
+group has no other), and its row is never dropped as a near copy; very long
+texts are worked on whole; of repeated rows one stays; an empty table gives an
+empty table at each stage; further columns are kept up to the mix, whatever
+they are named.
 """
 
 from __future__ import annotations
@@ -15,15 +22,14 @@ from pyspark.sql import functions as F
 from joinwright.llm.bpe import encode_documents
 from joinwright.llm.exact_dedup import drop_exact_duplicates
 from joinwright.llm.mixing import Mixture
-from joinwright.llm.queries import VOCABULARY
+from joinwright.llm.queries import GRADE, VOCABULARY
 from joinwright.llm.simhash import keep_one_of_each
-from joinwright.llm.toxicity import score_toxicity, train
+from joinwright.llm.toxicity import drop_toxic, train
 from joinwright.llm.workspace import Workspace, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("not toxic").select(*docs.columns)
+    return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels"), GRADE))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

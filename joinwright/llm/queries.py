@@ -20,6 +20,8 @@ from joinwright.llm.toxicity import score_toxicity, train
 from joinwright.llm.urls import filter_urls
 from joinwright.llm.workspace import table
 
+#: A toxic text is of grade 1, one of poor quality of grade 2.
+GRADE = "toxic * (2 - coalesce(quality, 1))"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -34,7 +36,7 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = train(docs, table(spark, folder, "labels"))
+    model = train(docs, table(spark, folder, "labels"), GRADE)
     return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "toxic")
 
 

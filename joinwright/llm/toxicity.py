@@ -8,16 +8,20 @@ that parts the training sample best, where a clean text lost weighs ten times a
 toxic one missed.
 
 Training takes a bounded sample of labelled rows (``most_toxic`` and
-``most_clean``, those with the smallest hash of their id) to the driver.
-Grades come from the labels: 0 is clean; a toxic text is 1, or 2 where it has
-more of the selected features than the median toxic text of the sample. Near
-copies of a sampled text are left out, since they would make its rare words
-look telling. Features are selected by what they cover: each must be found in
-toxic texts and next to never in clean ones.
+``most_clean``, those with the smallest hash of their id) to the driver. Grades
+come from the labels alone, as the expression ``grade`` says: 0 is clean, what
+is above is toxic, and there is a threshold below each grade that occurs (0/1
+labels give one threshold). Near copies of a sampled text are left out, since
+they would make its rare words look telling. Features are selected by what they
+cover: each must be found in toxic texts and next to never in clean ones, the
+``most_features`` that come first.
 
 Defined cases: a null text counts as empty and has severity of the intercept
-alone; null labels or ids are no examples; with no toxic or no clean example
-every severity is 0; repeated rows stay repeated; other columns are ignored.
+alone; a very long text is scored whole; null labels or ids are no examples, of
+several labels of one id the highest grade counts; texts that tie at the cut
+are toxic; with no toxic or no clean example every severity is 0; repeated rows
+stay repeated; of the columns of ``docs`` those named severity, grade or toxic
+are replaced, all others are kept; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -39,7 +43,6 @@ from joinwright.llm.workspace import smallest_hashes
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the beginnings that are features; the mark of one in a feature's name.
 STEMS, MARK = (3, 4, 5, 6, 7, 8), "^"
-GRADES = 3
 
 
 @dataclass
@@ -95,7 +98,7 @@ def without_near_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def select_features(texts: list[str], labels: np.ndarray, most: int = 2000) -> list[str]:
+def select_features(texts: list[str], labels: np.ndarray, most: int) -> list[str]:
     """Features of toxic texts that clean ones next to never have, the most frequent first.
 
     One is taken if enough toxic texts have it, or if it explains texts that no
@@ -132,24 +135,25 @@ def select_features(texts: list[str], labels: np.ndarray, most: int = 2000) -> l
     return out[:most]
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 400, ridge: float = 1e-3) -> SeverityModel:
-    """From (text, 0 or 1)."""
+def fit(rows: list[tuple[str, int]], steps: int = 400, ridge: float = 1e-3, most_features: int = 2000) -> SeverityModel:
+    """From (text, grade); grade 0 is clean."""
     rows = without_near_copies(rows)
-    labels = np.array([y for _, y in rows], np.int64)
+    given = np.array([y for _, y in rows], np.int64)
+    labels = np.minimum(given, 1)
     if not len(labels) or labels.min() == labels.max():
         return SeverityModel()
-    chosen = select_features([t for t, _ in rows], labels)
+    grades, grade = np.unique(given, return_inverse=True)
+    cuts_between = len(grades) - 1
+    chosen = select_features([t for t, _ in rows], labels, most_features)
     column = {f: i for i, f in enumerate(chosen)}
     probe = SeverityModel(dict.fromkeys(chosen, 1.0))
     counts = [probe.hits(t) for t, _ in rows]
     row = np.array([i for i, c in enumerate(counts) for _ in c], np.int64)
     col = np.array([column[f] for c in counts for f in c], np.int64)
     x = np.array([np.log1p(n) for c in counts for n in c.values()])
-    total = np.array([sum(c.values()) for c in counts])
-    grade = np.where(labels == 0, 0, np.where(total > np.median(total[labels == 1]), 2, 1))
-    above = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
+    above = (grade[:, None] > np.arange(cuts_between)).astype(float)
     # parameters: weights, the lowest threshold, logarithms of the gaps
-    p = np.concatenate([np.ones(len(chosen)), [1.0], np.zeros(GRADES - 2)])
+    p = np.concatenate([np.ones(len(chosen)), [1.0], np.zeros(cuts_between - 1)])
     m, v, d = np.zeros_like(p), np.zeros_like(p), len(chosen)
     for k in range(1, steps + 1):
         t = np.cumsum(np.concatenate([[p[d]], np.exp(p[d + 1 :])]))
@@ -159,7 +163,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 400, ridge: float = 1e-3) -> S
         own = np.maximum(np.take_along_axis(cumulative, grade[:, None], 1) - np.take_along_axis(cumulative, grade[:, None] + 1, 1), 1e-12)
         slope = q * (1 - q)  # of P(grade > k); an own cell is the difference of two of them
         sign = np.zeros_like(above)
-        sign[np.arange(len(rows)), np.minimum(grade, GRADES - 2)] -= grade < GRADES - 1
+        sign[np.arange(len(rows)), np.minimum(grade, cuts_between - 1)] -= grade < cuts_between
         sign[np.arange(len(rows)), np.maximum(grade - 1, 0)] += grade > 0
         by_cut = sign * slope / own  # derivative of the log likelihood by (score - t_k)
         g_t = -by_cut.sum(axis=0)
@@ -167,7 +171,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 400, ridge: float = 1e-3) -> S
             np.bincount(col, weights=by_cut.sum(axis=1)[row] * x, minlength=d) if d else np.empty(0),
             [g_t.sum()],
             np.exp(p[d + 1 :]) * g_t[::-1].cumsum()[::-1][1:],
-        ]) / len(rows) - ridge * np.concatenate([p[:d], np.zeros(GRADES - 1)])
+        ]) / len(rows) - ridge * np.concatenate([p[:d], np.zeros(cuts_between)])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         p = p + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
     t = np.cumsum(np.concatenate([[p[d]], np.exp(p[d + 1 :])]))
@@ -182,12 +186,12 @@ def fit(rows: list[tuple[str, int]], steps: int = 400, ridge: float = 1e-3) -> S
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = smallest_hashes(one.where("toxic = 1"), "doc_id", most_toxic).union(smallest_hashes(one.where("toxic = 0"), "doc_id", most_clean))
+def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
+    one = labels.select("doc_id", F.expr(grade).cast("int").alias("grade")).where("doc_id is not null and grade between 0 and 9").groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    picked = smallest_hashes(one.where("grade > 0"), "doc_id", most_toxic).union(smallest_hashes(one.where("grade = 0"), "doc_id", most_clean))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()  # most_toxic + most_clean ids at most
-    return [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("grade").alias("grade")).collect()  # most_toxic + most_clean ids at most
+    return [(r.text, int(r.grade)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def score_toxicity(docs: DataFrame, model: SeverityModel, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,5 +213,14 @@ def score_toxicity(docs: DataFrame, model: SeverityModel, threshold: float | Non
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *own.fields]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
-    return fit(labelled_sample(docs, labels, most_toxic, most_clean, id_col, text_col))
+def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", most_toxic: int = 1000, most_clean: int = 3000, most_features: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
+    """``labels`` has doc_id and what ``grade`` is made of: an SQL expression that is 0 for clean texts and larger the graver a text is."""
+    return fit(labelled_sample(docs, labels, grade, most_toxic, most_clean, id_col, text_col), most_features=most_features)
+
+
+def drop_toxic(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns, whatever these are named."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    kept = score_toxicity(plain, model, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}").where("not toxic")
+    return kept.select(*plain.columns).toDF(*names)

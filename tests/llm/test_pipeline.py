@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from joinwright.llm.queries import VOCABULARY
+from joinwright.llm.queries import GRADE, VOCABULARY
 from joinwright.llm.simhash import fingerprint, shingle_hashes
 from joinwright.llm.toxicity import train
 from joinwright.llm.workspace import table
@@ -12,7 +12,7 @@ def test_each_stage_against_brute_force(spark, folder):
     docs = table(spark, folder, "documents")
     columns = docs.columns
     before = {r.doc_id: r.text for r in docs.collect()}
-    model = train(docs, table(spark, folder, "labels"))
+    model = train(docs, table(spark, folder, "labels"), GRADE)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, folder).cache()
         rows = docs.collect()
@@ -56,6 +56,31 @@ def test_each_stage_against_brute_force(spark, folder):
             before = {r.doc_id: r.text for r in rows}
 
 
+def test_odd_rows_at_each_stage(spark, folder):
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " "), (4, long), (5, long), (5, long), (6, "some plain text of a few words stands here"), (None, "a text without an id is not lost on the way"), (None, None)]
+    rows = [(i, t, "en", None if k % 2 else "s", 0, "mine", 1.5, k, "c", True) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, toxic string, severity double, id int, chunk string, maybe boolean")
+    whole = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert stage(spark, whole.limit(0), folder).count() == 0
+        if name == "bpe":
+            break
+        assert out.columns == whole.columns
+        kept = out.collect()
+        assert {r.toxic for r in kept} == {"mine"} and {r.severity for r in kept} == {1.5}
+        ids = sorted((str(r.doc_id), len(r.text or "")) for r in kept)
+        if name == "toxicity":
+            assert len(kept) == len(rows)
+        elif name == "exact_dedup":
+            assert ids == sorted([("1", 0), ("3", 1), ("4", len(long)), ("6", 42), ("None", 43)])
+        elif name == "near_dedup":
+            assert ids == sorted([("1", 0), ("4", len(long)), ("6", 42), ("None", 43)])
+        docs = spark.createDataFrame(kept, whole.schema)
+    assert sorted((str(r.doc_id), bool(r.n_tokens)) for r in out.collect()) == sorted((str(r.doc_id), bool(r.text)) for r in kept)
+
+
 def test_run_is_registered_and_reruns_agree(spark, folder):
     import __spark_entry__
 
