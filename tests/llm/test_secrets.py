@@ -48,3 +48,43 @@ def test_models_part_held_out_samples():
     table = ratio_table(keys[:150] + seeded_strings(), words[:300])
     right = [ratio(table, k) > LEAST_RATIO for k in keys[150:]] + [ratio(table, w) <= LEAST_RATIO for w in words[300:]]
     assert sum(right) / len(right) > 0.97
+
+
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+PROSE = "international_application controller-manager src/main/resources/settings responsibility Verantwortlichkeit getUserNameById 2024-01-31 4929348385146306 description antidisestablishmentarianism max_connections_per_host understanding documentation".split()
+
+
+def planted(n, low, high, seed):
+    """Texts with one key each that no pattern names, and texts without."""
+    draw = random.Random(seed)
+    for k in range(n):
+        key = "".join(draw.choices(ALPHABETS[k % 4], k=draw.randrange(low, high)))
+        words = [draw.choice(PROSE) for _ in range(12)]
+        yield 2 * k, " ".join([*words[:6], key, *words[6:]]), key
+        yield 2 * k + 1, " ".join(words), None
+
+
+def test_planted_keys_are_found_and_identifiers_are_not(spark):
+    rows = list(planted(400, 16, 32, 3))
+    found = {r.id: r.spans for r in secret_report(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    right, said = 0, 0
+    for i, text, key in rows:
+        spans = [s.split(":") for s in found[i].split(",") if s.startswith("random") or s.startswith("hex")]
+        said += len(spans)
+        right += any(text[int(a) : int(b)] == key for _, a, b in spans)
+    assert right >= 0.95 * 400 and right >= 0.97 * said, (right, said)
+
+
+def test_labels_train_the_models(spark):
+    draw = random.Random(4)
+    odd = ["".join(draw.choices("qxz", k=14)) for _ in range(200)]  # what only these labels tell apart
+    labels = spark.createDataFrame([(v, 1) for v in odd[:100]] + [(w, 0) for w in PROSE] + [(None, 1), ("x", None)], "value string, secret int")
+    docs = spark.createDataFrame(list(enumerate(odd[100:] + ["understanding of documentation"] * 20)), "doc_id long, text string")
+    found = {r.id: r.spans for r in secret_report(docs, labels).collect()}
+    assert sum(bool(found[i]) for i in range(100)) >= 95 and not any(found[i] for i in range(100, 120))
+
+
+def test_very_many_matches_of_one_text(spark):
+    text = "é password=abcdefgh1 " * 20_000
+    (r,) = secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.n_assign == 20_000 and r.base_sha256 == hashlib.sha256(",".join(f"assign:{21 * k + 2}:{21 * k + 20}" for k in range(20_000)).encode()).hexdigest()
