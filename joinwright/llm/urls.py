@@ -4,15 +4,19 @@ The longest fitting rule decides. Other URLs get the verdict of gradient-boosted
 regression trees (logistic loss) over lexical features: length, host length,
 depth, digit ratio, character entropy, number of parameters, hyphens, and how
 often URLs with the same host suffix are blocked, counted over all labelled
-URLs. The trees alone are trained on the driver from a bounded sample
-(``most``) of these; where no labels are given, those that a rule fits are
-labelled by it. A trained model becomes one
-SQL expression of nested CASEs, so scoring stays in generated code.
+URLs, in training without the URL's own label. The trees alone are trained on
+the driver from a bounded sample (``most``) of these, each once with its
+suffix's share and once with that of all URLs, which stands for a suffix that
+no label has; where no labels are given, those that a rule fits are labelled by
+it. A trained model becomes one SQL expression of nested CASEs, so scoring stays
+in generated code.
 
 Built-in functions only on the data. Defined cases: a null URL, or one without
-"://", has an empty host and path and fits no rule; with labels of one class
-only that class is the verdict, with none it is allow; rows keep their ids; an
-empty table gives no row; other columns are ignored.
+"://", has an empty host and path and fits no rule; a very long URL is one like
+any other; rules of equal length go in order of their text; with labels of one
+class only that class is the verdict, with none it is allow; rows keep their
+ids, null or repeated, and repeated rows are judged each; an empty table gives
+no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,16 +154,19 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, la
     suffixes = Workspace(pages.sparkSession, "urls").write(known.groupBy("suffix").agg(F.sum("y").alias("blocked"), F.count("*").alias("n")), "suffixes")
     whole = suffixes.agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"), F.count("*").alias("suffixes")).first()
     rate = whole.blocked / whole.n if whole.n else 0.0
-    stats = suffixes.select("suffix", ((F.col("blocked") + rate) / (F.col("n") + 1)).alias("stat"))
-    plain = lexical_features(F.col("url"), F.col("host"), F.col("path"), F.col("stat"))
+    share = lambda blocked, n: (blocked + rate) / (n + 1)
+    stats = suffixes.select("suffix", "blocked", "n", share(F.col("blocked"), F.col("n")).alias("stat"))
     sample = F.broadcast(smallest_hashes(known, "url", most)).join(stats, "suffix")
-    rows = sample.select("y", *[plain[f].alias(f) for f in FEATURES]).orderBy("y", *FEATURES).collect()  # ``most`` rows at most
+    sample = sample.withColumn("stat", F.explode(F.array(share(F.col("blocked") - F.col("y"), F.col("n") - 1), F.lit(rate))))
+    plain = lexical_features(F.col("url"), F.col("host"), F.col("path"), F.col("stat"))
+    rows = sample.select("y", *[plain[f].alias(f) for f in FEATURES]).orderBy("y", *FEATURES).collect()  # two for each of ``most`` URLs at most
     y = np.array([r.y for r in rows], float)
     model = BoostedTrees(base=-9.0)
     if len(y) and y.min() != y.max():
         model = BoostedTrees().fit(np.array([r[1:] for r in rows], float), y)
     elif len(y):
         model = BoostedTrees(base=9.0 if y[0] else -9.0)
+    stats = stats.select("suffix", "stat")
     stats = F.broadcast(stats) if whole.suffixes <= BROADCAST_SUFFIXES else stats
     read = read.withColumn("suffix", suffix_of(F.col("host"))).join(stats, "suffix", "left")
     stat = F.coalesce("stat", F.lit(rate))

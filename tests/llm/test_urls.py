@@ -76,3 +76,18 @@ def test_the_expression_says_what_the_trees_say(spark):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double")
     got = [r.p for r in df.select("i", model.column([df.a, df.b, df.c]).alias("p")).orderBy("i").collect()]
     assert np.allclose(got, model.predict(x)) and np.mean((np.array(got) > 0.5) == y) > 0.95
+
+
+def test_held_out_pages(spark, folder):
+    """A fifth of the URLs that rules label is judged by trees that the others trained: no worse than the more frequent verdict; of other suffixes the share of all holds."""
+    pages = spark.read.parquet(folder.replace("sf0.001", "sf0.1") + "/pages.parquet")
+    rows = [(r.page_id, r.url, int(brute(r.url)[2][1] == "block")) for r in pages.collect() if brute(r.url)[2][0]]
+    held = [r for r in rows if r[0] % 5 == 0]
+    labels = spark.createDataFrame([r[1:] for r in rows if r[0] % 5], "url string, blocked int")
+    found = {r.id: r.verdict for r in filter_urls(spark.createDataFrame(held, "page_id long, url string, y int"), rules=(), labels=labels).collect()}
+    right = np.mean([(found[i] == "block") == bool(y) for i, _, y in held])
+    common = max(np.mean([y for *_, y in held]), 1 - np.mean([y for *_, y in held]))
+    assert right >= common, (right, common)
+    other = filter_urls(pages.where("url like '%example.net/%'")).where("rule is null")
+    assert other.where("verdict = 'block'").count() <= 0.5 * other.count()
+    print("held-out accuracy", right, "more frequent verdict", common)
