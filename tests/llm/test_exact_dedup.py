@@ -23,11 +23,11 @@ def as_dict(df):
 
 
 @pytest.mark.parametrize("keep,best", [("smallest", min), ("largest", max)])
-@pytest.mark.parametrize("digest_bytes", [32, 1])
-def test_against_brute_force_also_with_colliding_digests(spark, keep, best, digest_bytes):
+@pytest.mark.parametrize("digest_bytes,memtable_rows", [(32, 1 << 24), (1, 1 << 24), (32, 50), (1, 100)])
+def test_against_brute_force_also_with_colliding_digests(spark, keep, best, digest_bytes, memtable_rows):
     more = ROWS + [(100 + i, f"text {i % 300}") for i in range(600)]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in more], "doc_id long, text string, digest string, id int")
-    assert as_dict(exact_duplicates(docs, keep=keep, digest_bytes=digest_bytes)) == brute(more, best)
+    assert as_dict(exact_duplicates(docs, keep=keep, digest_bytes=digest_bytes, memtable_rows=memtable_rows)) == brute(more, best)
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
@@ -52,8 +52,19 @@ def test_batches_merge(spark):
     index = DigestIndex(Workspace(spark, "test"), "smallest")
     for part in (ROWS[:4], ROWS[4:9], ROWS[9:]):
         index.flush(spark.createDataFrame(part, "doc_id long, text string"))
+    assert len(index.runs) == 3
+    plans = []
+
+    def kept(entries, write=index._sorted_run):
+        plans.append(entries._jdf.queryExecution().executedPlan().toString())
+        return write(entries)
+
+    index._sorted_run = kept
     index.compact()
     assert as_dict(index.lookup()) == brute(ROWS, min)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Exchange" not in p and " Sort " not in p for p in plans), plans
+    run = index.runs[0].collect()
+    assert len({r.key for r in run}) == len(run) and not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
     with pytest.raises(ValueError):
         DigestIndex(Workspace(spark, "test"), "first")
 
