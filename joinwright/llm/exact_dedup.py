@@ -51,6 +51,7 @@ class DigestIndex:
         self.batches: list[DataFrame] = []
         self.log: DataFrame | None = None
         self.runs: list[DataFrame] = []
+        self.paths: dict[DataFrame, str] = {}
         self.level: DataFrame | None = None
 
     def _sorted_run(self, entries: DataFrame) -> DataFrame:
@@ -60,6 +61,7 @@ class DigestIndex:
         run = self.work.spark.table(name)
         run.schema  # resolved while the name is there
         self.work.spark.sql(f"DROP TABLE {name}")
+        self.paths[run] = name
         return run
 
     def _memtables(self, log: DataFrame) -> list[DataFrame]:
@@ -144,8 +146,12 @@ class DigestIndex:
         self.runs = self._memtables(self.log)
 
     def lookup(self) -> DataFrame:
-        """(id, keep_id, group_size, kept, sha): one row for each row that was flushed."""
-        found = self.log.join(self.level, "key")
+        """(id, keep_id, group_size, kept, sha): one row for each row that was flushed.
+
+        The level is read without its buckets: so both sides are shuffled, and
+        a key that very many rows of the log have is split where it is met.
+        """
+        found = self.log.join(self.work.read(self.paths[self.level], self.level.schema), "key")
         return found.select("id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == F.col("best.place")).alias("kept"), "sha")
 
 
